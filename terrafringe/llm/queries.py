@@ -12,6 +12,8 @@ from terrafringe.llm.packing import pack_documents
 from terrafringe.llm.quality import judge
 from terrafringe.llm.sentencepiece_bpe import encode_documents
 
+from terrafringe.llm.suffix_dedup import remove_repeats
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,11 +35,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents")).drop("text", "lang", "source", "n_chars")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_ngram_join": op4_ngram_join,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
