@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from terrafringe.llm.language_id import fit, held_out, identify
 from terrafringe.llm.ngram_join import near_duplicates
 from terrafringe.llm.packing import pack_documents
 from terrafringe.llm.quality import judge
@@ -23,6 +24,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
+    model = fit(docs.filter("not held_out"))
+    return identify(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +48,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_language_id": op2_language_id,
     "op4_ngram_join": op4_ngram_join,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
