@@ -14,6 +14,7 @@ from terrafringe.llm.quality import judge
 from terrafringe.llm.sentencepiece_bpe import encode_documents
 
 from terrafringe.llm.suffix_dedup import remove_repeats
+from terrafringe.llm.vector_join import near_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", "held_out"), model).drop("text")
 
 
+def op3_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
+    "op3_vector_join": op3_vector_join,
     "op4_ngram_join": op4_ngram_join,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
