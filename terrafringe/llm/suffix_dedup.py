@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrafringe.llm.common import chunks, cut, small, text_bytes
+from terrafringe.llm.common import BROADCAST_BYTES, chunks, cut, small, text_bytes
 from terrafringe.llm.shingles import mix, prefix_sums, span_hash
 from terrafringe.llm.suffix_sort import equal_windows
 
@@ -206,10 +206,32 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     firsts = cut(digests.groupBy("md5").agg(F.min("node").alias("first"), F.count("*").alias("k")))
     # Of equal texts the first document is searched; the others go as a whole.
     copied = firsts.filter("k > 1").select("md5", "first")
-    copies = digests.join(copied, "md5").filter("node != first").select("node", F.lit(0).cast("long").alias("low"), F.lit(1 << 60).alias("size"))
+    copies = digests.join(copied, "md5").filter("node != first").select("node", F.lit(0).cast("long").alias("low"), F.lit(1 << 40).alias("size"))
     heads = named.join(small(firsts.select(F.col("first").alias("node")), 16), "node", "left_semi")
     spans = repeated_spans(heads, length).unionByName(copies)
-    lists = cut(spans.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("low", "size"))).alias("gone")))
+    gathered = spans.groupBy("node").agg(F.flatten(F.collect_list(F.array("low", "size"))).alias("gone"))
+
+    def merged(batches):
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy().reshape(-1, 2)
+            row = np.repeat(np.arange(len(batch)), np.diff(batch.column(1).offsets.to_numpy()) // 2)
+            order = np.lexsort((flat[:, 0], row))
+            row, low = row[order], flat[order, 0]
+            top = low + flat[order, 1]
+            # The furthest end so far within the row: rows are lifted above each other.
+            lift = row * np.int64(1 << 40)
+            reach = np.maximum.accumulate(np.minimum(top, (1 << 40) - 1) + lift)
+            head = np.ones(len(row), bool)
+            head[1:] = low[1:] + lift[1:] > reach[:-1]
+            first = np.flatnonzero(head)
+            last = np.append(first[1:], len(row)) - 1
+            ends = np.stack([low[first], reach[last] - lift[last]], 1).astype("<i8")
+            counts = np.bincount(row[first], minlength=len(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in np.split(ends, np.cumsum(counts)[:-1])], pa.binary())], names=["node", "gone"])
+
+    lists = cut(gathered.mapInArrow(merged, "node long, gone binary"))
+    held = lists.agg(F.sum(F.length("gone") + 48)).first()[0] or 0
+    lists = F.broadcast(lists) if held <= BROADCAST_BYTES else lists
     schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "")
 
     def run(batches):
@@ -219,16 +241,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             out = []
             for i, cuts in enumerate(gone):
                 raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                kept, at, removed, runs, until = [], 0, 0, 0, -1
-                for one in cuts or ():
-                    a, b = one["low"], min(one["low"] + one["size"], len(raw))
-                    if a >= b or b <= at:
+                kept, at, removed, runs = [], 0, 0, 0
+                for a, b in np.frombuffer(cuts or b"", "<i8").reshape(-1, 2).tolist():
+                    b = min(b, len(raw))
+                    if a >= b:
                         continue
-                    runs += a > until
-                    if a > at:
-                        kept.append(raw[at:a])
-                    removed += b - max(a, at)
-                    at = until = b
+                    runs += 1
+                    kept.append(raw[at:a])
+                    removed += b - a
+                    at = b
                 kept = b"".join([*kept, raw[at:]])
                 row = [len(raw), removed, runs, hashlib.sha256(kept).hexdigest()]
                 out.append([*row, kept.decode(errors="ignore")] if keep_text else row)
@@ -238,4 +259,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(key), *(pa.array(c, t) for c, t in zip(columns, types, strict=False))], names=names)
 
     key = {"int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(kind, pa.int64())
-    return own.join(small(lists, 400), "node", "left").select("node", "_doc", "gone").mapInArrow(run, schema)
+    return own.join(lists, "node", "left").select("node", "_doc", "gone").mapInArrow(run, schema)
