@@ -13,7 +13,7 @@ from terrafringe.llm.common import shared_dir
 from terrafringe.llm.language_id import fit, held_out, identify
 from terrafringe.llm.ngram_join import near_duplicates
 from terrafringe.llm.packing import pack_documents
-from terrafringe.llm.quality import judge
+from terrafringe.llm.quality import judge, passed
 from terrafringe.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,7 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return judge(docs).filter("kept").select(*COLUMNS)
+    return passed(judge(docs), COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

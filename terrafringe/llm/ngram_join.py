@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from terrafringe.llm.common import cut, small
 from terrafringe.llm.components import components
@@ -136,40 +137,56 @@ def star_groups(tokens: DataFrame) -> DataFrame:
     return rest.unionByName(heads).withColumn("comp", F.col("node"))
 
 
-#: Parts of the counting bound on an overlap.
-PARTS = 256
+#: Least parts of the counting bound on an overlap, and the mean of shingles in a part that longer texts keep.
+PARTS, FILL = 256, 2
 
 
 def profiles(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(node, n, profile): how many of a document's shingles fall in each of `PARTS` parts, at most 255 each."""
+    """(node, n, profile): how many of a document's shingles fall in each part of the hash range, at most 255.
+
+    A power of two of parts, `PARTS` or more, so that about `FILL` fall in one.
+    """
 
     def run(batches):
         for batch in batches:
             for a, b, h, at in row_sets(batch.column(1), width):
-                part = (h >> np.uint64(20)).astype(np.int64) & (PARTS - 1)
-                counts = np.bincount(at * PARTS + part, minlength=(b - a) * PARTS).reshape(b - a, PARTS)
                 n = np.bincount(at, minlength=b - a)
-                data = np.minimum(counts, 255).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array([x.tobytes() for x in data], pa.binary())], names=["node", "n", "profile"])
+                bits = np.ceil(np.log2(np.maximum(n / FILL, PARTS))).astype(np.int64)
+                size = np.int64(1) << bits
+                first = np.cumsum(size) - size
+                part = (h >> (np.uint64(64) - bits[at].astype(np.uint64))).astype(np.int64)
+                counts = np.minimum(np.bincount(first[at] + part, minlength=int(size.sum())), 255).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array([counts[x : x + k].tobytes() for x, k in zip(first.tolist(), size.tolist(), strict=True)], pa.binary())], names=["node", "n", "profile"])
 
     return docs.select("node", text_col).mapInArrow(run, "node long, n long, profile binary")
 
 
-def possible_links(size: np.ndarray, counts: np.ndarray, more: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets can reach the limit, for all pairs of rows of `counts` and `more` (each with its sizes in `size`).
+def possible_links(n: np.ndarray, profile: list[np.ndarray], percent: int):
+    """Yields (i, js): all pairs i < js of sets that can reach the limit, each pair once.
 
-    Sets share at most the sum over all parts of the smaller count. A part
-    whose count is cut off at 255 bounds nothing, so it counts as the smaller set's size.
+    Sets share at most the sum over all parts of the smaller count (a count cut
+    off at 255 bounds nothing), and at most the smaller set. Sets of like sizes
+    have as many parts or half as many; neighbouring parts are then added up.
     """
-    (na, nb), (ca, cb) = size, (counts, more)
-    bound = np.zeros((len(na), len(nb)), np.int64)
-    for k in range(len(na)):
-        low = np.minimum(ca[k], cb)
-        bound[k] = low.sum(1, dtype=np.int64)
-        if (ca[k] == 255).any():
-            bound[k][(low == 255).any(1)] = 1 << 40
-    least = np.minimum(bound, np.minimum(na[:, None], nb[None, :]))
-    return (100 + percent) * least >= percent * (na[:, None] + nb[None, :])
+    parts = np.array([len(p) for p in profile])
+    whole = 100 + percent
+    for level in np.unique(parts):
+        own, wide = np.flatnonzero(parts == level), np.flatnonzero(parts == 2 * level)
+        at = np.concatenate([own, wide])
+        table = np.zeros((len(at), level), np.int16)
+        for k, i in enumerate(at):
+            table[k] = profile[i] if len(profile[i]) == level else profile[i].astype(np.int16).reshape(-1, 2).sum(1)
+        full = np.zeros(len(at), bool) if not len(at) else np.array([(profile[i] == 255).any() for i in at])
+        for k, i in enumerate(own):
+            others = np.arange(k + 1, len(at))
+            fit = whole * np.minimum(n[i], n[at[others]]) >= percent * (n[i] + n[at[others]])
+            others = others[fit]
+            for s in range(0, len(others), 512):
+                some = others[s : s + 512]
+                bound = np.minimum(table[k], table[some]).sum(1, dtype=np.int64)
+                can = (whole * bound >= percent * (n[i] + n[at[some]])) | full[k] | full[some]
+                if can.any():
+                    yield i, at[some[can]]
 
 
 def rest_groups(tokens: DataFrame, comps: DataFrame, docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
@@ -194,15 +211,13 @@ def rest_groups(tokens: DataFrame, comps: DataFrame, docs: DataFrame, text_col:
 
     def run(table: pa.Table) -> pa.Table:
         node, comp, n = (table.column(c).to_numpy() for c in ("node", "comp", "n"))
-        counts = np.frombuffer(b"".join(table.column("profile").to_pylist()), np.uint8).reshape(-1, PARTS)
+        profile = [np.frombuffer(x, np.uint8) for x in table.column("profile").to_pylist()]
         forest = Forest(np.arange(len(node)))
         hit = np.zeros(len(node), bool)
-        for a in range(0, len(node), 64):
-            rows = slice(a, a + 64)
-            can = possible_links((n[rows], n), counts[rows], counts, percent) & (comp[rows, None] != comp[None, :])
-            for i, j in zip(*np.nonzero(can), strict=True):
-                if forest.join(a + int(i), int(j)):
-                    hit[a + int(i)] = hit[int(j)] = True
+        for i, js in possible_links(n, profile, percent):
+            for j in js[comp[js] != comp[i]].tolist():
+                if forest.join(int(i), j):
+                    hit[i] = hit[j] = True
         root = np.array([forest.root(i) for i in range(len(node))]) if len(node) else np.zeros(0, np.int64)
         x, y, out_n, out_c = [], [], [], []
         for r in np.unique(root[hit]):
@@ -240,8 +255,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(sets.filter("n > 0 and node is not null").groupBy("n", "s1", "s2").agg(F.min("node").alias("head")))
     heads = own.join(small(classes.select(F.col("head").alias("node")), 16), "node", "left_semi")
     posted = postings(heads, "_doc", width, percent, frequent)
-    leaders = posted.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("top")).filter("leader != top").drop("top")
-    tokens = cut(posted.join(leaders, "token"))
+    within = Window.partitionBy("token")
+    led = posted.withColumn("leader", F.min("node").over(within)).withColumn("top", F.max("node").over(within))
+    tokens = cut(led.filter("leader != top").drop("top"))
     first = cut(tree_links(star_groups(tokens), heads, "_doc", width, percent, frequent))
     groups = cut(rest_groups(tokens, components(first), heads, "_doc", width, percent))
     second = tree_links(groups, heads, "_doc", width, percent, frequent)

@@ -132,3 +132,13 @@ def judge(docs: DataFrame, languages: dict[str, list[str]] = COMMON_WORDS, text_
     out = out.withColumn("kept", ~F.col("base_failed") & ~bad)
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
     return out.select(*[c for c in docs.columns if c not in new], *new)
+
+
+def passed(judged: DataFrame, columns: list[str]) -> DataFrame:
+    """`columns` of the rows of `judge`'s result that are kept.
+
+    A plain filter would be pushed below the measures and compute them over
+    and over in nested copies; a generator of one or no row takes the computed verdict.
+    """
+    once = F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return judged.withColumn("_once", F.explode(once)).select(*columns)
