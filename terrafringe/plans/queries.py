@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from terrafringe.functions import scalars as S
+from terrafringe.functions.geometry import ring_area_km2
 from terrafringe.operators import catalog as C
 from terrafringe.operators import network as N
 from terrafringe.operators import raster as R
+from terrafringe.operators import surface as U
 from terrafringe.plans.fixtures import duckdb, relation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -329,3 +330,32 @@ def pair_summary(phases):
 @_query(None, "fx_ifg_px")
 def network_inversion(phases):
     return _rounded(N.inverted_network(phases.groupBy("younger", "older").agg(F.avg("phase").alias("value"))), "cumulative")
+
+
+@_query(_STITCH.replace("a.comp c1, b.comp c2, ", "").replace(" and a.comp <> 0 and b.comp <> 0", "") + " select pair_id, gy, gx, round(avg(v + shift), 9) + 0.0 v from fx_tile_px join c using (pair_id, frame_ord) where v is not null group by all", "fx_tile_px")
+def ionosphere_chain(tiles):
+    return _rounded(U.ionosphere(tiles), "v")
+
+
+@_query(None, "fx_epoch_px")
+def surface_fit(pixels):
+    mean = pixels.groupBy("gy", "gx").agg(F.avg("q").alias("v"))
+    return U.with_surface(mean, U.fit_surface(mean)).select("gy", "gx", F.round("surface", 6).alias("surface"))
+
+
+@_query(None, "fx_frames")
+def frame_areas(frames):
+    corner = lambda x, y: F.array(F.lit(x), F.col(y))
+    ring = F.array(corner(10.0, "min_lat"), corner(12.0, "min_lat"), corner(12.0, "max_lat"), corner(10.0, "max_lat"))
+    return frames.select("frame_pk", F.round(ring_area_km2(ring), 6).alias("area_km2"))
+
+
+@_query(" select gy, gx, round(avg(q), 9) v, count(*) n from fx_epoch_px where epoch in (select younger from fx_pairs) group by all", "fx_epoch_px", "fx_pairs")
+def used_epochs(pixels, pairs):
+    return _rounded(pixels.join(pairs.select(F.col("younger").alias("epoch")).distinct(), "epoch", "left_semi").groupBy("gy", "gx").agg(F.avg("q").alias("v"), F.count("*").alias("n")), "v")
+
+
+@_query(", e as (select distinct epoch from fx_epoch_px), p as (select younger epoch from fx_pairs union select older from fx_pairs) (select epoch from e intersect select epoch from p) union all (select epoch from e except select epoch from p)", "fx_epoch_px", "fx_pairs")
+def epoch_sets(pixels, pairs):
+    e, p = pixels.select("epoch").distinct(), pairs.select(F.explode(F.array("younger", "older")).alias("epoch")).distinct()
+    return e.intersect(p).unionAll(e.exceptAll(p))
