@@ -123,7 +123,11 @@ def _sorted_repeats(contexts: DataFrame, tasks: int, length: int) -> DataFrame:
     """Spans whose windows equal an earlier window of the same anchor, by deep-shallow sorting in each task."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("node", "ascending"), ("low", "ascending")])
+        table = table.sort_by([("node", "ascending"), ("low", "ascending"), ("h", "ascending")])
+        h, node, low = (table.column(k).to_numpy() for k in ("h", "node", "low"))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1]) | (low[1:] != low[:-1])
+        table = table.filter(pa.array(new))
         h, node, low, at = (table.column(k).to_numpy() for k in ("h", "node", "low", "at"))
         data, offsets = text_bytes(table.column("context"))
         counts = np.diff(offsets) - length + 1
@@ -165,9 +169,9 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """(node, low, size) of the bytes covered by strings that start earlier, over documents of different texts (node, _doc)."""
     found = _anchor_rows(docs, length)
     within, alike = Window.partitionBy("h"), Window.partitionBy("h", "c").orderBy("node", "low")
-    ranked = found.withColumn("rank", F.row_number().over(alike))
+    ranked = found.withColumn("rank", F.dense_rank().over(alike))
     ranked = ranked.withColumn("lo", F.min("c").over(within)).withColumn("hi", F.max("c").over(within)).withColumn("k", F.sum((F.col("rank") == 1).cast("int")).over(within))
-    # A context seen before is a repeat as a whole; the first of several different contexts needs its bytes.
+    # Repeated rows tie with themselves. A context seen before is a repeat as a whole; the first of several different contexts needs its bytes.
     marks = cut(ranked.filter("rank > 1 or lo != hi").select(F.when(F.col("rank") == 1, F.col("h")).alias("h"), "node", "low", "size", "at", (F.col("k") > TASK).alias("hot")))
     wanted = marks.filter("h is not null")
     contexts = _contexts(docs, wanted)
