@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrafringe.llm.common import BROADCAST_BYTES, chunks, cut, small, text_bytes
+from terrafringe.llm.common import chunks, cut, small, text_bytes
 from terrafringe.llm.shingles import mix, prefix_sums, span_hash
 from terrafringe.llm.suffix_sort import equal_windows
 
@@ -105,7 +105,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 k = np.flatnonzero(inside[a : a + 20000]) + a
                 yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in (h, batch.column("node").to_numpy()[row], low, at)] + [pa.array([raw[s : s + n] for s, n in zip(start[k].tolist(), size[k].tolist(), strict=True)], pa.binary()), pa.array(hot[k])], names=["h", "node", "low", "at", "context", "hot"])
 
-    return docs.join(small(lists, 600), "node").mapInArrow(run, "h long, node long, low long, at int, context binary, hot boolean")
+    return docs.join(lists, "node").mapInArrow(run, "h long, node long, low long, at int, context binary, hot boolean")
 
 
 def _spans(node: np.ndarray, start: np.ndarray, length: int) -> pa.Table:
@@ -234,8 +234,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in np.split(ends, np.cumsum(counts)[:-1])], pa.binary())], names=["node", "gone"])
 
     lists = cut(gathered.mapInArrow(merged, "node long, gone binary"))
-    held = lists.agg(F.sum(F.length("gone") + 48)).first()[0] or 0
-    lists = F.broadcast(lists) if held <= BROADCAST_BYTES else lists
     schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "")
 
     def run(batches):
