@@ -24,6 +24,12 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a letter; numbers such as roman numerals or halves are none."""
+    found = _LETTER.search(text or "")
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def codewords(n: int, length: int = 0, tries: int = 200) -> np.ndarray:
     """An n x bits matrix of -1 and 1: all splits of up to 7 languages, else the best spread of `tries` fixed random draws."""
     if n <= 7 and not length:
@@ -185,7 +191,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             if m.languages:
                 for a, b, bucket, row in _features(texts):
                     pred[a:b], score[a:b], close[a:b] = m.decode(m.margins(bucket, row, b - a))
-                blank = np.array([t is None or _LETTER.search(t) is None for t in texts.to_pylist()], bool)
+                    blank = np.array([not has_letter(t) for t in texts.to_pylist()], bool)
                 pred[blank], score[blank], close[blank] = len(m.languages), 0.0, True
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[pred], pa.string()), pa.array(score), pa.array(close)], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
 
