@@ -153,8 +153,8 @@ def misclosure_referenced(phases):
 
 @_query(_MISCLOSURE + " select d1, d2, d3, m, sum(m) over w net, sum(abs(m)) over w absolute from m where gy = 4 and gx = 6 window w as (order by d1, d2, d3 rows unbounded preceding)", "fx_ifg_px")
 def misclosure_at_pixel(phases):
-    at = R.cropped(phases, 4, 4, 6, 9)
-    return N.running_misclosure(N.misclosure_pixels(at, N.triplets(phases.select("younger", "older").distinct())), 4, 9)
+    at = R.cropped(phases, 4, 4, 6, 6)
+    return N.running_misclosure(N.misclosure_pixels(at, N.triplets(phases.select("younger", "older").distinct())), 4, 6)
 
 
 @_query(" select gy, gx, avg_q from (select gy, gx, round(avg(q), 9) avg_q, row_number() over (order by avg(q) desc, gy, gx) r from fx_epoch_px group by gy, gx) where r = 1", "fx_epoch_px")
