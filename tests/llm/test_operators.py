@@ -251,6 +251,18 @@ def test_passages(spark, docs, texts, empty):
     assert compact_windows.near_passages(empty).count() == 0
 
 
+def test_document_pairs_against_all_pairs(spark):
+    rng = random.Random(23)
+    members = {(16 * rng.randrange(6) + k, node) for node in range(60) for k in range(8) if rng.random() < 0.7}
+    members |= {(160 + k, node) for node in range(60) for k in range(3)}
+    of = {n: {k for k, m in members if m == n} for n in range(60)}
+    expected = {(a, b) for a in of for b in of if b < a and len({k & 15 for k in of[a] & of[b]}) >= 4}
+    df = spark.createDataFrame(sorted(members), "key long, node long")
+    for block in (7, 1024):
+        found = [tuple(r) for r in compact_windows.document_pairs(df, 4, block).collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
+
+
 def test_compact_windows_cover_every_span():
     rng = np.random.default_rng(11)
     h = rng.integers(0, 40, 90).astype(np.uint64)
