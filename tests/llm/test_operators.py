@@ -263,6 +263,74 @@ def test_document_pairs_against_all_pairs(spark):
         assert len(found) == len(set(found)) and set(found) == expected
 
 
+def test_rolling_jaccard_against_sets():
+    rng = np.random.default_rng(1)
+    for least in range(1, 9):
+        x, y = rng.integers(0, 12, 40).astype(np.uint64), rng.integers(0, 12, 30).astype(np.uint64)
+        parts = [(s, max(0, s), min(40 - least, 30 - least + s)) for s in (-7, 0, 3, 12)]
+        shift, first, last = np.array(parts).T
+        windows = [(set(x[i : i + least]), set(y[i - s : i - s + least])) for s, a, b in parts for i in range(a, b + 1)]
+        assert compact_windows.rolling_jaccard(x, y, first, last, shift, least) == pytest.approx([len(a & b) / len(a | b) for a, b in windows])
+
+
+def near_words(a, b, least=46):
+    """Words of shingle sequence `a` that lie in a window of similarity 0.8 to one of `b`, by brute force."""
+    of_b, out = [set(b[j : j + least]) for j in range(len(b) - least + 1)], set()
+    for i in range(len(a) - least + 1):
+        own = set(a[i : i + least])
+        if any(10 * len(own & s) >= 8 * len(own | s) for s in of_b):
+            out |= set(range(i, i + least + 4))
+    return out
+
+
+def shingle_sequences(texts):
+    return [[tuple(w[k : k + 5]) for k in range(len(w) - 4)] for w in (t.lower().split() for t in texts)]
+
+
+def found_words(rows):
+    out = {}
+    for r in rows:
+        out.setdefault((r.doc_id, r.match_id), set()).update(range(r.start_word, r.start_word + r.n_words))
+    return out
+
+
+def test_passages_behind_frequent_shingles(spark):
+    # Exact 50-word passages of pairs of documents, 20 of whose 46 shingles are boilerplate of all documents.
+    rng = random.Random(21)
+    word = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    boiler, texts = word(24), []
+    for _ in range(20):
+        own = word(26)
+        texts += [f"{word(60)} {boiler} {own} {word(60)}" for _ in range(2)]
+    texts = texts[::2] + texts[1::2]
+    rows = compact_windows.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    seqs, found = shingle_sequences(texts), found_words(rows)
+    for k in range(20):
+        assert found.get((20 + k, k), set()) >= near_words(seqs[20 + k], seqs[k]) != set()
+
+
+def test_passages_inside_looser_runs(spark):
+    # Near passages within long spans that are not near as a whole, and one held at two places of the other document.
+    rng = random.Random(22)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    spoilt = lambda ws, step: [fresh(1)[0] if k % step == step // 2 else w for k, w in enumerate(ws)]
+    pairs = []
+    for _ in range(12):
+        a, b, c = fresh(60), fresh(53), fresh(60)
+        pairs.append((fresh(30) + a + b + c, spoilt(a, 16) + b + spoilt(c, 16) + fresh(20)))
+    twice = fresh(60)
+    pairs.append((fresh(20) + twice + fresh(80) + spoilt(twice, 59), fresh(30) + twice + fresh(30)))
+    texts = [" ".join(x) for side in zip(*pairs, strict=True) for x in side]
+    rows = compact_windows.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    seqs, found = shingle_sequences(texts), found_words(rows)
+    n = len(pairs)
+    for k in range(n):
+        need = near_words(seqs[n + k], seqs[k])
+        assert need and len(found.get((n + k, k), set()) & need) >= 0.95 * len(need)
+        assert found[n + k, k] <= need
+    assert sorted(r.match_start_word >= 100 for r in rows if r.doc_id == 2 * n - 1) == [False, True]
+
+
 def test_compact_windows_cover_every_span():
     rng = np.random.default_rng(11)
     h = rng.integers(0, 40, 90).astype(np.uint64)
