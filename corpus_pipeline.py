@@ -8,8 +8,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from terrafringe.llm.common import shared_dir
+from terrafringe.llm.common import cut, shared_dir, small
 from terrafringe.llm.language_id import fit, held_out, identify
 from terrafringe.llm.ngram_join import near_duplicates
 from terrafringe.llm.packing import pack_documents
@@ -32,17 +33,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates; of rows with the same id, one."""
-    found = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_semi").select(*COLUMNS)
+    """The document of the smallest id of each group of near-duplicates; of rows with the same id, one (the least by its text); all without an id."""
+    own = docs.select(*COLUMNS)
+    found = cut(near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("k")))
+    once, several = (own.join(small(found.filter(rule).select("doc_id"), 16), "doc_id", "left_semi") for rule in ("k = 1", "k > 1"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c in COLUMNS[1:]]))
+    several = several.withColumn("place", place).filter("place = 1")
+    return once.select(*COLUMNS).unionByName(several.select(*COLUMNS)).unionByName(own.filter("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings that earlier ones hold; a document of which nothing is left goes."""
-    found = remove_repeats(docs, keep_text=True).filter("n_removed > 0").select("doc_id", "kept_text")
-    text = F.coalesce("kept_text", "text")
-    out = docs.select(*COLUMNS).join(found, "doc_id", "left").withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast("long")).filter("kept_text is null or length(trim(kept_text)) > 0").select(*COLUMNS)
+    rows = docs.select("doc_id", "text", "lang", "source", F.col("text").isNull().alias("no_text"))
+    found = remove_repeats(rows, keep_text=True, carry=("lang", "source", "no_text")).filter("n_removed = 0 or length(trim(kept_text)) > 0")
+    out = found.withColumn("text", F.when(~F.col("no_text"), F.col("kept_text")))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

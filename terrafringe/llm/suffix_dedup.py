@@ -188,14 +188,15 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte covered by a `length`-byte string that also starts earlier.
 
     Earlier means in a document of a smaller id, or at a smaller place of the
     same one; overlaps count, matches don't cross documents, and all strings
     are judged on the input. Columns: `id_col`, n_bytes, n_removed, n_spans
     (maximal removed runs), kept_sha256 and, with `keep_text`, kept_text
-    (without bytes of characters that were cut).
+    (without bytes of characters that were cut), then the columns of `docs` named
+    in `carry`, each from the row itself.
 
     Null text counts as empty. Rows that repeat an id and its text are one
     document and get the same result. Where an id has several texts, spans of
@@ -204,8 +205,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     empty table. Ids are integers. Other columns of `docs` are not read.
     """
     kind = dict(docs.dtypes)[id_col]
-    own = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("_doc"))
-    named = own.filter("node is not null")
+    carried = [f"_carry{k}" for k in range(len(carry))]
+    own = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("_doc"), *[F.col(c).alias(a) for c, a in zip(carry, carried, strict=True)])
+    named = own.select("node", "_doc").filter("node is not null")
     digests = named.select("node", F.md5("_doc").alias("md5"), F.octet_length("_doc").alias("n")).filter(F.col("n") >= length)
     firsts = cut(digests.groupBy("md5").agg(F.min("node").alias("first"), F.count("*").alias("k")))
     # Of equal texts the first document is searched; the others go as a whole.
@@ -234,7 +236,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in np.split(ends, np.cumsum(counts)[:-1])], pa.binary())], names=["node", "gone"])
 
     lists = cut(gathered.mapInArrow(merged, "node long, gone binary"))
-    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "")
+    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "") + "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in carry)
 
     def run(batches):
         for batch in batches:
@@ -258,7 +260,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             columns = list(zip(*out, strict=True)) or [()] * (5 if keep_text else 4)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: len(columns) + 1]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(key), *(pa.array(c, t) for c, t in zip(columns, types, strict=False))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(key), *(pa.array(c, t) for c, t in zip(columns, types, strict=False)), *batch.columns[3:]], names=[*names, *carry])
 
     key = {"int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(kind, pa.int64())
-    return own.join(lists, "node", "left").select("node", "_doc", "gone").mapInArrow(run, schema)
+    return own.join(lists, "node", "left").select("node", "_doc", "gone", *carried).mapInArrow(run, schema)

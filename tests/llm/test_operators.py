@@ -378,3 +378,56 @@ def test_pipeline_stages(spark, tmp_path):
         docs, before = after, docs
     assert set(docs.columns) >= {"doc_id", "start", "length", "sequence_id", "offset"}
     assert docs.select("doc_id").distinct().count() == before.count()
+
+
+@pytest.fixture(scope="module")
+def stage_rows(texts):
+    """Repeated rows, null ids, several texts of one id, near and exact copies, shared passages."""
+    rows = [(i, t, "en", f"s{i}", len(t)) for i, t in enumerate(texts) if t]
+    rng = random.Random(31)
+    alone, first, second = prose(rng, 80), prose(rng, 90), prose(rng, 90)
+    rows += [rows[4], rows[4], (None, alone, "de", "x", 1), (None, alone, "de", "y", 1), (60, second, "en", "b", 2), (60, first, "en", "a", 1), (61, first + " more words than before", "en", "c", 3)]
+    shared = prose(rng, 25)
+    return rows + [(70, shared + " " + prose(rng, 60), "en", "d", 4), (71, prose(rng, 50) + " " + shared, "en", "e", 5), (71, prose(rng, 50) + " " + shared, "en", "f", 5)]
+
+
+def stage_frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def by_id(rows):
+    return sorted(map(tuple, rows), key=str)
+
+
+def test_pipeline_near_duplicates_against_all_pairs(spark, stage_rows):
+    import corpus_pipeline
+
+    sets = list(shingle_sets([r[1] for r in stage_rows]).values())
+    named = [k for k, r in enumerate(stage_rows) if r[0] is not None]
+    pairs = {(stage_rows[a][0], stage_rows[b][0]) for a in named for b in named if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    least = joined(pairs, 100)
+    heads = {r[0] for r in stage_rows if r[0] is not None and least[r[0]] == r[0]}
+    expected = [min((r for r in stage_rows if r[0] == i), key=lambda r: r[1].encode()) for i in heads] + [r for r in stage_rows if r[0] is None]
+    found = corpus_pipeline.near_duplicate_join(spark, stage_frame(spark, stage_rows), "").collect()
+    assert [r[:2] for r in by_id(found)] == [r[:2] for r in by_id(expected)]
+    assert len(found) == len(heads) + 2 and {tuple(r) for r in found} <= set(stage_rows)
+
+
+def test_pipeline_repeats_against_brute_force(spark, stage_rows):
+    import corpus_pipeline
+
+    rows = [r for k, r in enumerate(stage_rows) if r[0] is None or r[0] < 60 or r[0] == 70] + [stage_rows[-2]] * 2
+    seen, kept, gone_of = {}, [], {}
+    for node, text in sorted({r[:2] for r in rows if r[0] is not None}):
+        b = text.encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 99):
+            if seen.setdefault(b[p : p + 100], (node, p)) != (node, p):
+                gone[p : p + 100] = True
+        gone_of[node] = gone
+    for node, text, lang, source, _ in rows:
+        gone = gone_of.get(node, np.zeros(len(text.encode()), bool))
+        left = bytes(np.frombuffer(text.encode(), np.uint8)[~gone]).decode(errors="ignore")
+        if not gone.any() or left.strip(" "):
+            kept.append((node, left, lang, source, len(left)))
+    assert by_id(corpus_pipeline.repeated_passages(spark, stage_frame(spark, rows), "").collect()) == by_id(kept)
