@@ -431,3 +431,15 @@ def test_pipeline_repeats_against_brute_force(spark, stage_rows):
         if not gone.any() or left.strip(" "):
             kept.append((node, left, lang, source, len(left)))
     assert by_id(corpus_pipeline.repeated_passages(spark, stage_frame(spark, rows), "").collect()) == by_id(kept)
+
+
+def test_pipeline_quality_and_language_rows(spark, stage_rows):
+    import corpus_pipeline
+
+    docs = stage_frame(spark, stage_rows)
+    flags = quality.judge(docs).filter("kept").select(*docs.columns).collect()
+    assert by_id(corpus_pipeline.quality(spark, docs, "").collect()) == by_id(flags)
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    told = {r.text: r.lang_pred for r in language_id.identify(docs, model).collect() if not r.ambiguous}
+    expected = [(r[0], r[1], told[r[1]], r[3], r[4]) for r in stage_rows if r[1] in told]
+    assert by_id(corpus_pipeline.language(spark, docs, "").collect()) == by_id(expected)
