@@ -31,20 +31,22 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
 
 
 def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """(src, dst, n): links between different hosts in the pages' html, counted; `pages` has a column host."""
-    found = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?\s*(https?://[^\s"'<>]*)"""), F.lit(1))
+    """(src, dst, n): links between different hosts in the pages' html, counted, also those without a protocol (`//host/`); `pages` has a column host."""
+    found = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^\s"'<>]*)"""), F.lit(1))
     links = pages.select(F.col("host").alias("src"), F.explode(found).alias("to"))
-    return links.select("src", host_and_path(F.col("to"))[0].alias("dst")).filter("src != dst and src != '' and dst != ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    whole = F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).otherwise(F.col("to"))
+    return links.select("src", host_and_path(whole)[0].alias("dst")).filter("src != dst and src != '' and dst != ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(hosts: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 20, settled: float = 1e-6) -> DataFrame:
+def spread(hosts: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 300, settled: float = 1e-6) -> DataFrame:
     """(host, trust, distrust) by personalised PageRank from the seeds in `hosts` (host, good, bad).
 
     Trust follows the links, shared among a host's links by their counts;
     distrust goes against them, shared among the links that point to a host.
     Seeds are shares of a host's pages, so scores lie between 0 and 1 and don't
     shrink with the number of hosts. Hosts that are only linked to take part
-    with empty seeds. Rounds end when no score moves by more than `settled`.
+    with empty seeds. Rounds end when no score moves by more than `settled`;
+    it is an error if they don't in `rounds`, which bounds any graph at 0.85.
     """
     links = cut(links)
     everyone = hosts.select("host").unionByName(links.select(F.col("dst").alias("host"))).distinct()
@@ -65,8 +67,8 @@ def spread(hosts: DataFrame, links: DataFrame, damping: float = 0.85, rounds: in
         both = cut(after.join(before, "host"))
         scores = both.select("host", "trust", "distrust")
         if both.filter((F.abs(F.col("trust") - F.col("t0")) > settled) | (F.abs(F.col("distrust") - F.col("d0")) > settled)).isEmpty():
-            break
-    return scores
+            return scores
+    raise RuntimeError(f"scores did not settle in {rounds} rounds")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, least_distrust: float = 0.5, damping: float = 0.85, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -241,6 +241,18 @@ def test_pagerank_against_matrices(spark):
         assert found[h] == pytest.approx((trust[k], distrust[k]), abs=1e-9)
 
 
+def test_pagerank_that_does_not_settle_is_an_error(spark):
+    hosts = spark.createDataFrame([("h0", 1.0, 0.0)], "host string, good double, bad double")
+    links = spark.createDataFrame([(f"h{k}", f"h{k + 1}", 1) for k in range(4)], "src string, dst string, n long")
+    with pytest.raises(RuntimeError):
+        url_filter.spread(hosts, links, rounds=2)
+
+
+def test_links_without_protocol(spark):
+    pages = spark.createDataFrame([("a.org", '<a href="//B.org/x"> <a href=//c.org> <a href="/d.org"> <a href="https://b.org/">')], "host string, html string")
+    assert sorted(map(tuple, url_filter.host_links(pages).collect())) == [("a.org", "b.org", 2), ("a.org", "c.org", 1)]
+
+
 def test_passages(spark, docs, texts, empty):
     rows = compact_windows.near_passages(docs).collect()
     n = len(texts)
