@@ -263,18 +263,6 @@ def test_passages(spark, docs, texts, empty):
     assert compact_windows.near_passages(empty).count() == 0
 
 
-def test_document_pairs_against_all_pairs(spark):
-    rng = random.Random(23)
-    members = {(16 * rng.randrange(6) + k, node) for node in range(60) for k in range(8) if rng.random() < 0.7}
-    members |= {(160 + k, node) for node in range(60) for k in range(3)}
-    of = {n: {k for k, m in members if m == n} for n in range(60)}
-    expected = {(a, b) for a in of for b in of if b < a and len({k & 15 for k in of[a] & of[b]}) >= 4}
-    df = spark.createDataFrame(sorted(members), "key long, node long")
-    for block in (7, 1024):
-        found = [tuple(r) for r in compact_windows.document_pairs(df, 4, block).collect()]
-        assert len(found) == len(set(found)) and set(found) == expected
-
-
 def test_rolling_jaccard_against_sets():
     rng = np.random.default_rng(1)
     for least in range(1, 9):
@@ -340,7 +328,40 @@ def test_passages_inside_looser_runs(spark):
         need = near_words(seqs[n + k], seqs[k])
         assert need and len(found.get((n + k, k), set()) & need) >= 0.95 * len(need)
         assert found[n + k, k] <= need
-    assert sorted(r.match_start_word >= 100 for r in rows if r.doc_id == 2 * n - 1) == [False, True]
+    # Both places are passages of the document that holds them.
+    assert sorted(r.start_word >= 100 for r in rows if r.doc_id == n - 1) == [False, True]
+
+
+@pytest.mark.parametrize(("length", "changed", "copies", "around"), [(50, 1, 2, 40), (55, 1, 2, 10), (55, 1, 30, 10), (60, 0, 2, 40)])
+def test_passage_recall(spark, length, changed, copies, around):
+    # Of the copies that brute force finds near to another one, nine tenths at least have a row for most of the passage.
+    rng = random.Random(length + copies + around)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, at = [], []
+    for _ in range(60 // copies):
+        base = fresh(length)
+        for c in range(copies):
+            own = list(base)
+            for k in rng.sample(range(length), changed if c else 0):
+                own[k] = fresh(1)[0]
+            texts.append(fresh(around) + own + fresh(around))
+            at.append(set(range(around, around + length)))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(k, " ".join(texts[i])) for k, i in enumerate(order)], "doc_id long, text string")
+    found = {}
+    for r in compact_windows.near_passages(docs).collect():
+        found.setdefault(order[r.doc_id], set()).update(range(r.start_word, r.start_word + r.n_words))
+    seqs = shingle_sequences([" ".join(t) for t in texts])
+    hit = total = 0
+    for g in range(0, len(texts), copies):
+        for i in range(g, g + copies):
+            need = set().union(*(near_words(seqs[i], seqs[j]) for j in range(g, g + copies) if j != i))
+            if need & at[i]:
+                total += 1
+                hit += len(found.get(i, set()) & need) >= 0.8 * len(need)
+    assert total >= 20 and hit >= 0.9 * total, (hit, total)
+    assert all(any(set(seqs[i]) & set(seqs[j]) for j in range(len(seqs)) if j != i) for i in list(found)[:20])
 
 
 def test_compact_windows_cover_every_span():
