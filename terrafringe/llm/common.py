@@ -19,37 +19,46 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, set here only where it is unset."""
+    """The folder that all executors share: `spark.checkpoint.dir`, or the context's checkpoint folder.
+
+    Only a local session, whose executors are this process, gets a temporary
+    folder where neither is set; on a cluster that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
     if path:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not known.isDefined():
             sc.setCheckpointDir(path)
         return path
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    if not known.isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder, so that lost executors don't lose it."""
-    shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    shared_dir(spark)
+    release(spark)
     return df.checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver's JVM find out which shuffles no one can read any more, so that executors drop their files."""
+    """Let the driver's JVM find out which shuffles no frame can read any more, so that executors drop their files before the next step."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: survives lost executors, and takes less disk than `cut`."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
