@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -49,7 +50,10 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let the driver's JVM find out which shuffles no frame can read any more, so that executors drop their files before the next step."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    # What the first collection frees may hold what only a second one finds.
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def stored(df: DataFrame) -> DataFrame:
