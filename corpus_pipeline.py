@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrafringe.llm.common import cut, shared_dir, small
+from terrafringe.llm.common import cut, shared_dir
 from terrafringe.llm.language_id import fit, held_out, identify
 from terrafringe.llm.ngram_join import near_duplicates
 from terrafringe.llm.packing import pack_documents
@@ -36,7 +36,7 @@ def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """The document of the smallest id of each group of near-duplicates; of rows with the same id, one (the least by its text); all without an id."""
     own = docs.select(*COLUMNS)
     found = cut(near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("k")))
-    once, several = (own.join(small(found.filter(rule).select("doc_id"), 16), "doc_id", "left_semi") for rule in ("k = 1", "k > 1"))
+    once, several = (own.join(found.filter(rule).select("doc_id").hint("merge"), "doc_id", "left_semi") for rule in ("k = 1", "k > 1"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c in COLUMNS[1:]]))
     several = several.withColumn("place", place).filter("place = 1")
     return once.select(*COLUMNS).unionByName(several.select(*COLUMNS)).unionByName(own.filter("doc_id is null"))
