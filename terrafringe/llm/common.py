@@ -11,12 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass handles; longer texts are handled alone.
 CHUNK_BYTES = 2 << 20
-#: A side is broadcast only if its estimated size is at most this.
-BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,11 +62,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """`df`, marked for broadcast if its counted rows fit `BROADCAST_BYTES`; else unchanged."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

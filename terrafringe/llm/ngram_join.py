@@ -6,9 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from terrafringe.llm.common import cut, small
+from terrafringe.llm.common import cut, stored
 from terrafringe.llm.components import components
 from terrafringe.llm.prefix_tree import Forest, PrefixTree
 from terrafringe.llm.shingles import mix, row_sets
@@ -38,12 +37,17 @@ def frequent_slots(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
         for batch in batches:
             for _, _, h, _ in row_sets(batch.column(0), width):
                 count += np.bincount(_slot(h), minlength=SKETCH)
-        at = np.flatnonzero(count)
-        for a in range(0, len(at), 1 << 16):
-            part = at[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(count[part])], names=["slot", "n"])
+        blocks = count.astype("<i8").reshape(-1, SKETCH // 64)
+        some = np.flatnonzero(blocks.any(1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([blocks[k].tobytes() for k in some], pa.binary())], names=["block", "counts"])
 
-    counts = cut(docs.select(text_col).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")))
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist()], 0)
+        at = np.flatnonzero(total)
+        return pa.table({"slot": pa.array((table.column("block")[0].as_py() * (SKETCH // 64) + at).astype(np.int32)), "n": pa.array(total[at])})
+
+    counts = cut(docs.select(text_col).mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "slot int, n long"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     bits = np.zeros(SKETCH, bool)
     for row in counts.filter(F.col("n") > FREQUENT * total / SKETCH + 64).select("slot").toLocalIterator():
@@ -118,7 +122,7 @@ def tree_links(groups: DataFrame, docs: DataFrame, text_col: str, width: int, pe
         a, b = (np.array([nodes[p[k]] for p in found], np.int64) for k in (0, 1))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    members = docs.select("node", F.col(text_col).alias("_text")).join(small(groups, 48), "node")
+    members = docs.select("node", F.col(text_col).alias("_text")).join(groups.hint("merge"), "node")
     return members.groupBy("x", "y").applyInArrow(run, "a long, b long")
 
 
@@ -204,7 +208,7 @@ def rest_groups(tokens: DataFrame, comps: DataFrame, docs: DataFrame, text_col:
     block = 4 * TREE
     open_ = cut(labelled.join(lists.select("token", F.ceil(F.col("c") / block).cast("int").alias("parts")), "token"))
     nodes = open_.select("node").distinct()
-    known = profiles(docs.select("node", text_col).join(small(nodes, 16), "node", "left_semi"), text_col, width)
+    known = profiles(docs.select("node", text_col).join(nodes.hint("merge"), "node", "left_semi"), text_col, width)
     part = F.pmod(F.xxhash64("node"), "parts").cast("int")
     spread = open_.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.select("token", "node", "comp", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part").join(known, "node")
@@ -253,14 +257,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent = frequent_slots(own, "_doc", width)
     sets = cut(signatures(own, "node", "_doc", width))
     classes = cut(sets.filter("n > 0 and node is not null").groupBy("n", "s1", "s2").agg(F.min("node").alias("head")))
-    heads = own.join(small(classes.select(F.col("head").alias("node")), 16), "node", "left_semi")
-    posted = postings(heads, "_doc", width, percent, frequent)
-    within = Window.partitionBy("token")
-    led = posted.withColumn("leader", F.min("node").over(within)).withColumn("top", F.max("node").over(within))
-    tokens = cut(led.filter("leader != top").drop("top"))
-    first = cut(tree_links(star_groups(tokens), heads, "_doc", width, percent, frequent))
-    groups = cut(rest_groups(tokens, components(first), heads, "_doc", width, percent))
-    second = tree_links(groups, heads, "_doc", width, percent, frequent)
+    # One text of each class, met with its id by the same shuffle at every size; groups below hold ids of such texts only.
+    heads = own.join(classes.select(F.col("head").alias("node")).hint("merge"), "node", "left_semi")
+    posted = stored(postings(heads, "_doc", width, percent, frequent))
+    # Sums by token come from all tasks' partial ones, and a join can be split where a token is hot; a window could not.
+    shared = posted.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("top")).filter("leader != top").select("token", "leader")
+    tokens = stored(posted.join(shared.hint("merge"), "token"))
+    first = cut(tree_links(star_groups(tokens), own, "_doc", width, percent, frequent))
+    groups = cut(rest_groups(tokens, components(first), own, "_doc", width, percent))
+    second = tree_links(groups, own, "_doc", width, percent, frequent)
     found = components(first.unionByName(second))
     of_class = classes.join(found.withColumnRenamed("node", "head"), "head", "left").select("n", "s1", "s2", F.coalesce("component", "head").alias("component"))
     out = sets.join(of_class, ["n", "s1", "s2"], "left").withColumn("component", F.when(F.col("node").isNotNull(), F.coalesce("component", "node")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -30,7 +31,8 @@ class ShardStore:
     temporary name, and renames it to the next number, which fails if another
     writer was first: then it takes up the newer manifest and tries again.
     Readers never see a part of a version, and a failed writer leaves only
-    files that no manifest names, for `vacuum`.
+    files that no manifest names, for `vacuum`. The rename must be atomic, as
+    on HDFS and local disks; plain object stores' renames are not.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -95,6 +97,8 @@ class ShardStore:
         new = self._written(folder, 0)
         while True:
             version = self.version()
+            if not self._present(new):
+                raise FileNotFoundError(f"shards of {folder} were deleted before they were committed")
             if self._commit(version, self.shards(version) + new):
                 return version + 1
 
@@ -146,20 +150,32 @@ class ShardStore:
         number = self.spark.createDataFrame([("/".join(s.file.split("/")[-2:]), k, s.generation) for k, s in enumerate(shards)], "_file string, shard int, generation int")
         return rows.withColumn("_file", key).join(F.broadcast(number), "_file").drop("_file")
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete old manifests but the last `keep`, and all files that no kept manifest names."""
+    def vacuum(self, keep: int = 1, min_age_s: float = 86400.0) -> None:
+        """Delete old manifests but the last `keep`, and the files that only those named.
+
+        Files that no manifest names may be those of a writer that hasn't
+        committed yet: they go only when they are older than `min_age_s`, which
+        must be longer than any write takes. Readers of a version that is no
+        longer kept lose its files.
+        """
         version = self.version()
-        named = {s.file for v in range(max(1, version - keep + 1), version + 1) for s in self.shards(v)}
-        for v in range(1, version - keep + 1):
-            self._fs.delete(self._path(f"{self.root}/manifests/v{v:010d}.json"), False)
+        numbers = sorted(int(s.getPath().getName()[1:-5]) for s in self._fs.listStatus(self._path(f"{self.root}/manifests")) if s.getPath().getName().startswith("v"))
+        kept = {s.file for v in numbers if v > version - keep for s in self.shards(v)}
+        expired = {s.file for v in numbers if v <= version - keep for s in self.shards(v)}
+        for file in sorted(expired - kept):
+            self._fs.delete(self._path(f"{self.root}/{file}"), False)
+        for v in numbers:
+            if v <= version - keep:
+                self._fs.delete(self._path(f"{self.root}/manifests/v{v:010d}.json"), False)
+        oldest = (time.time() - min_age_s) * 1000
         for folder in self._fs.listStatus(self._path(f"{self.root}/data")):
-            files = [f.getPath() for f in self._fs.listStatus(folder.getPath())]
-            used = [p for p in files if f"data/{folder.getPath().getName()}/{p.getName()}" in named]
-            if not used:
+            files = list(self._fs.listStatus(folder.getPath()))
+            names = {f"data/{folder.getPath().getName()}/{f.getPath().getName()}" for f in files}
+            if not names & kept and folder.getModificationTime() < oldest and all(f.getModificationTime() < oldest for f in files):
                 self._fs.delete(folder.getPath(), True)
-            for p in files:
-                if used and p not in used and p.getName().endswith(".parquet"):
-                    self._fs.delete(p, False)
+
+    def _present(self, shards: list[Shard]) -> bool:
+        return all(self._fs.exists(self._path(f"{self.root}/{s.file}")) for s in shards)
 
 
 def shard_table(spark: SparkSession, root: str, arrivals: list[DataFrame], target: int = 128 << 20, fanout: int = 4) -> ShardStore:

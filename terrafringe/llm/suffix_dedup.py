@@ -8,9 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from terrafringe.llm.common import chunks, cut, small, text_bytes
+from terrafringe.llm.common import chunks, cut, stored, text_bytes
 from terrafringe.llm.shingles import mix, prefix_sums, span_hash
 from terrafringe.llm.suffix_sort import equal_windows
 
@@ -167,12 +166,17 @@ def _counted_repeats(contexts: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """(node, low, size) of the bytes covered by strings that start earlier, over documents of different texts (node, _doc)."""
-    found = _anchor_rows(docs, length)
-    within, alike = Window.partitionBy("h"), Window.partitionBy("h", "c").orderBy("node", "low")
-    ranked = found.withColumn("rank", F.dense_rank().over(alike))
-    ranked = ranked.withColumn("lo", F.min("c").over(within)).withColumn("hi", F.max("c").over(within)).withColumn("k", F.sum((F.col("rank") == 1).cast("int")).over(within))
-    # Repeated rows tie with themselves. A context seen before is a repeat as a whole; the first of several different contexts needs its bytes.
-    marks = cut(ranked.filter("rank > 1 or lo != hi").select(F.when(F.col("rank") == 1, F.col("h")).alias("h"), "node", "low", "size", "at", (F.col("k") > TASK).alias("hot")))
+    found = stored(_anchor_rows(docs, length))
+    # A context seen before is a repeat as a whole; the first of several different contexts needs its bytes. Of each context,
+    # and then of each anchor, only counts and the first place are gathered, by partial sums, however hot an anchor is.
+    place = F.struct("node", "low")
+    contexts_ = stored(found.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    hot = contexts_.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
+    seen = contexts_.join(hot.hint("merge"), "h", "left").filter("n > 1 or k is not null").select("h", "c", "first", F.coalesce("k", F.lit(1)).alias("k"))
+    ranked = found.join(seen.hint("merge"), ["h", "c"])
+    # Repeated rows tie with the first place and are it.
+    later = place != F.col("first")
+    marks = stored(ranked.filter(later | (F.col("k") > 1)).select(F.when(~later, F.col("h")).alias("h"), "node", "low", "size", "at", (F.col("k") > TASK).alias("hot")))
     wanted = marks.filter("h is not null")
     contexts = _contexts(docs, wanted)
     n = marks.groupBy("hot").agg(F.count("h").alias("n")).collect()
@@ -213,7 +217,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     # Of equal texts the first document is searched; the others go as a whole.
     copied = firsts.filter("k > 1").select("md5", "first")
     copies = digests.join(copied, "md5").filter("node != first").select("node", F.lit(0).cast("long").alias("low"), F.lit(1 << 40).alias("size"))
-    heads = named.join(small(firsts.select(F.col("first").alias("node")), 16), "node", "left_semi")
+    heads = named.join(firsts.select(F.col("first").alias("node")).hint("merge"), "node", "left_semi")
     spans = repeated_spans(heads, length).unionByName(copies)
     gathered = spans.groupBy("node").agg(F.flatten(F.collect_list(F.array("low", "size"))).alias("gone"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafringe.llm.common import cut, small
+from terrafringe.llm.common import cut
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the url's path starts with the rule's.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -94,5 +94,5 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, leas
     scores = spread(hosts, host_links(own, "_html"), damping)
     known = cut(scores.join(hosts.select("host"), "host", "left_semi"))
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= (1 - damping) * least_distrust)
-    judged = own.drop("_html").join(small(known, 120), "host", "left")
+    judged = own.drop("_html").join(known, "host", "left")
     return judged.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("_verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")

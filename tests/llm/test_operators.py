@@ -390,6 +390,21 @@ def test_shards(spark, docs, tmp_path):
     assert sharding.ShardStore(spark, f"file://{tmp_path}/e").read() is None
 
 
+def test_vacuum_leaves_what_is_not_committed_yet(spark, docs, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/v")
+    store.append(docs)
+    docs.write.parquet(f"{store.root}/data/late")
+    late = store._written("data/late", 0)
+    store.append(docs)
+    store.compact(1 << 20, 2)
+    store.vacuum()
+    assert store._present(late) and store.read().count() == 2 * docs.count()
+    version = store.version()
+    assert store._commit(version, store.shards() + late) and store.read().count() == 3 * docs.count()
+    store.vacuum(min_age_s=-60)
+    assert store.read().count() == 3 * docs.count() and len(list((tmp_path / "v" / "manifests").glob("v*"))) == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     found = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
