@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from terrafringe.llm.common import chunks, cut, stored, text_bytes
 from terrafringe.llm.shingles import mix, prefix_sums, span_hash
@@ -17,6 +18,8 @@ from terrafringe.llm.suffix_sort import equal_windows
 GRAM = 24
 #: Contexts that one sorting task takes; anchors with more are counted window by window.
 TASK = 16384
+#: Slots that anchors are counted in, and how far above the mean a slot is hot: bounds what is broadcast.
+SLOTS, HOT = 1 << 16, 4
 #: Bytes of a text that are searched for anchors at a time.
 STEP = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -166,17 +169,26 @@ def _counted_repeats(contexts: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """(node, low, size) of the bytes covered by strings that start earlier, over documents of different texts (node, _doc)."""
-    found = stored(_anchor_rows(docs, length))
-    # A context seen before is a repeat as a whole; the first of several different contexts needs its bytes. Of each context,
-    # and then of each anchor, only counts and the first place are gathered, by partial sums, however hot an anchor is.
+    found = stored(_anchor_rows(docs, length)).withColumn("slot", F.pmod("h", F.lit(SLOTS)))
+    # Anchors whose slot is far above the mean may be too many for a task; the list is bounded by the number of slots.
+    counts = cut(found.groupBy("slot").agg(F.count("*").alias("n")))
+    most = HOT * (counts.agg(F.sum("n")).first()[0] or 0) / SLOTS + TASK
+    slots = cut(counts.filter(F.col("n") > most).select("slot"))
     place = F.struct("node", "low")
-    contexts_ = stored(found.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    hot = contexts_.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
-    seen = contexts_.join(hot.hint("merge"), "h", "left").filter("n > 1 or k is not null").select("h", "c", "first", F.coalesce("k", F.lit(1)).alias("k"))
-    ranked = found.join(seen.hint("merge"), ["h", "c"])
+    named = ["h", "c", "node", "low", "size", "at"]
+    cold = found.join(F.broadcast(slots), "slot", "left_anti").select(*named)
+    within, alike = Window.partitionBy("h"), Window.partitionBy("h", "c").orderBy("node", "low")
+    cold = cold.withColumn("rank", F.dense_rank().over(alike)).withColumn("row", F.row_number().over(alike)).withColumn("k", F.sum((F.col("row") == 1).cast("long")).over(within))
     # Repeated rows tie with the first place and are it.
-    later = place != F.col("first")
-    marks = stored(ranked.filter(later | (F.col("k") > 1)).select(F.when(~later, F.col("h")).alias("h"), "node", "low", "size", "at", (F.col("k") > TASK).alias("hot")))
+    cold = cold.filter("rank > 1 or k > 1").select(*named, (F.col("rank") > 1).alias("later"), "k")
+    # Of a hot anchor only counts and first places are gathered, by partial sums.
+    hot = found.join(F.broadcast(slots), "slot").select(*named)
+    contexts_ = hot.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    several = contexts_.groupBy("h").agg(F.count("*").alias("k"))
+    seen = cut(contexts_.join(several, "h").filter("n > 1 or k > 1"))
+    warm = hot.join(seen, ["h", "c"]).withColumn("later", place != F.col("first")).filter("later or k > 1").select(*named, "later", "k")
+    # A context seen before is a repeat as a whole; the first of several different contexts needs its bytes.
+    marks = stored(cold.unionByName(warm).select(F.when(~F.col("later"), F.col("h")).alias("h"), "node", "low", "size", "at", (F.col("k") > TASK).alias("hot")))
     wanted = marks.filter("h is not null")
     contexts = _contexts(docs, wanted)
     n = marks.groupBy("hot").agg(F.count("h").alias("n")).collect()

@@ -165,6 +165,9 @@ def test_counted_windows_agree_with_sorted_ones(spark, docs, texts, monkeypatch)
     plain = sorted(map(tuple, suffix_dedup.remove_repeats(docs).collect()))
     monkeypatch.setattr(suffix_dedup, "TASK", 1)
     assert sorted(map(tuple, suffix_dedup.remove_repeats(docs).collect())) == plain
+    # All anchors that occur twice are hot.
+    monkeypatch.setattr(suffix_dedup, "HOT", 0)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(docs).collect())) == plain
 
 
 def test_equal_windows_against_a_dictionary():
