@@ -84,7 +84,8 @@ def raw_without_slc(frames: DataFrame, reach: int = 4, keys: tuple[str, ...] = (
 def common_dates(frames: DataFrame, partition: list[str], seconds: int = 86399) -> DataFrame:
     """`frames` with `common`: the first acquisition of those from `seconds` before this one on."""
     at = F.unix_seconds(F.col("acq").cast("timestamp"))
-    w = Window.partitionBy(*partition).orderBy("_at").rangeBetween(-seconds, Window.unboundedFollowing)
+    # Latest first, so that the frame only grows and its minimum is carried on.
+    w = Window.partitionBy(*partition).orderBy(F.col("_at").desc()).rangeBetween(Window.unboundedPreceding, seconds)
     return frames.withColumn("_at", at).withColumn("common", F.min("acq").over(w)).drop("_at")
 
 

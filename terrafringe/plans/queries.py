@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terrafringe.functions import scalars as S
 from terrafringe.functions.geometry import ring_area_km2
 from terrafringe.operators import catalog as C
+from terrafringe.operators import metadata as M
 from terrafringe.operators import network as N
 from terrafringe.operators import raster as R
 from terrafringe.operators import surface as U
@@ -54,9 +55,9 @@ def version_filter(products):
     return C.of_version(products, "3_0_1")
 
 
-@_query(_PARSED + " select product_id, version_num from (select *, row_number() over (partition by left(base_name, 40) order by version_num desc, product_id) r from parsed) where r = 1", "fx_products")
+@_query(_PARSED + " select product_id, version_num from (select *, row_number() over (partition by base_name order by version_num desc, product_id) r from parsed) where r = 1", "fx_products")
 def latest_version(products):
-    return C.latest_versions(C.parse_products(products).withColumn("base_name", F.substring("base_name", 1, 40))).select("product_id", "version_num")
+    return C.latest_versions(C.parse_products(products)).select("product_id", "version_num")
 
 
 @_query(_PARSED + " select product_id, pair_name, version_num from (select *, max(version_num) over (partition by pair_name, center_lat) top from parsed) where top < 300 or version_num >= 300", "fx_products")
@@ -210,9 +211,9 @@ def component_mask(tiles):
     return R.component_masked(tiles).select("pair_id", "frame_ord", "gy", "gx", "v", "comp")
 
 
-@_query(", k as (select gy, gx, case when avg(q) < 40 then 0.0 else 1.0 end mask from fx_epoch_px where (gy + gx) % 5 <> 0 group by gy, gx) select younger, older, gy, gx, phase * mask v from fx_ifg_px left join k using (gy, gx)", "fx_ifg_px", "fx_epoch_px")
+@_query(", k as (select gy, gx, case when avg(q) < 40 then 0.0 else 1.0 end mask from fx_epoch_px group by gy, gx) select younger, older, gy, gx, phase * mask v from fx_ifg_px left join k using (gy, gx)", "fx_ifg_px", "fx_epoch_px")
 def masked_phase(phases, pixels):
-    mask = pixels.filter("(gy + gx) % 5 != 0").groupBy("gy", "gx").agg(F.when(F.avg("q") < 40, 0.0).otherwise(1.0).alias("mask"))
+    mask = pixels.groupBy("gy", "gx").agg(F.when(F.avg("q") < 40, 0.0).otherwise(1.0).alias("mask"))
     return R.masked(phases.withColumnRenamed("phase", "v"), mask).select("younger", "older", "gy", "gx", "v")
 
 
@@ -221,15 +222,15 @@ def average_threshold(pixels):
     return R.average(pixels.withColumnRenamed("q", "v"), 80, 38.0)
 
 
-@_query(" select pair_id, gy // 3 as block_y, gx // 3 as block_x, round(avg(v), 9) + 0.0 v, max(case when gy % 3 = 1 and gx % 3 = 1 then comp end) comp from fx_tile_px where frame_ord = 0 group by all", "fx_tile_px")
+@_query(" select pair_id, frame_ord, gy // 3 as block_y, gx // 3 as block_x, round(avg(v), 9) + 0.0 v, max(case when gy % 3 = 1 and gx % 3 = 1 then comp end) comp from fx_tile_px group by all", "fx_tile_px")
 def multilook_average(tiles):
-    return _rounded(R.multilook(tiles.filter("frame_ord = 0"), 3, ["pair_id"]), "v")
+    return _rounded(R.multilook(tiles, 3, ["pair_id", "frame_ord"]), "v")
 
 
-@_query(""", p as (select pair_id, gy // 2 as block_y, gx // 2 as block_x, comp, sum(v) s, count(*) n from fx_tile_px where frame_ord = 0 and v is not null group by all),
- q as (select *, row_number() over (partition by pair_id, block_y, block_x order by n desc, comp) r, sum(n) over (partition by pair_id, block_y, block_x) a from p) select pair_id, block_y, block_x, comp, round(s / a, 9) + 0.0 v from q where r = 1""", "fx_tile_px")
+@_query(""", p as (select pair_id, frame_ord, gy // 2 as block_y, gx // 2 as block_x, comp, sum(v) s, count(*) n from fx_tile_px where v is not null group by all),
+ q as (select *, row_number() over (partition by pair_id, frame_ord, block_y, block_x order by n desc, comp) r, sum(n) over (partition by pair_id, frame_ord, block_y, block_x) a from p) select pair_id, frame_ord, block_y, block_x, comp, round(s / a, 9) + 0.0 v from q where r = 1""", "fx_tile_px")
 def multilook_ranked(tiles):
-    return _rounded(R.multilook_ranked(tiles.filter("frame_ord = 0"), 2, ["pair_id"]), "v")
+    return _rounded(R.multilook_ranked(tiles, 2, ["pair_id", "frame_ord"]), "v")
 
 
 @_query(" select younger, older, gy, gx, phase from fx_ifg_px where gy between 2 and 9 and gx between 4 and 11", "fx_ifg_px")
@@ -313,7 +314,7 @@ def edge_mode(tiles):
 
 
 @_query(""", c as (select gy iy, gx ix, unnest([0, 1, 2]) iz, avg(q) m from fx_epoch_px group by gy, gx), k as (select iy, ix, iz, round(m, 3) + iz * 2.5 v from c),
- p as (select frame_pk id, (frame_pk % 140) / 10.0 as y, (frame_pk % 130) / 10.0 as x, (frame_pk % 18) / 10.0 as z from fx_frames where frame_pk % 5 = 0 or true),
+ p as (select frame_pk id, (frame_pk % 140) / 10.0 as y, (frame_pk % 130) / 10.0 as x, (frame_pk % 18) / 10.0 as z from fx_frames),
  w as (select id, v, (1 - abs(y - iy)) * (1 - abs(x - ix)) * (1 - abs(z - iz)) w from p join k on iy in (floor(y), floor(y) + 1) and ix in (floor(x), floor(x) + 1) and iz in (floor(z), floor(z) + 1))
  select id, round(sum(w * v), 9) v from w where w > 0 group by id""", "fx_epoch_px", "fx_frames")
 def cube_interpolation(pixels, frames):
@@ -359,3 +360,83 @@ def used_epochs(pixels, pairs):
 def epoch_sets(pixels, pairs):
     e, p = pixels.select("epoch").distinct(), pairs.select(F.explode(F.array("younger", "older")).alias("epoch")).distinct()
     return e.intersect(p).unionAll(e.exceptAll(p))
+
+
+@_query(" select pair_id, frame_ord, gy, gx, case when v < 0.01 then null else v end v from fx_tile_px", "fx_tile_px")
+def coherence_display(tiles):
+    return M.blanked_below(tiles, "v", 0.01).select("pair_id", "frame_ord", "gy", "gx", "v")
+
+
+@_query(_PARSED + " select pair_name, coalesce(avg(nullif(version_num, 205) / 100), 0) v from parsed group by all", "fx_products")
+def baseline_network(products):
+    parsed = C.parse_products(products).withColumn("b", F.nullif("version_num", F.lit(205.0)) / 100)
+    return M.mean_or_zero(parsed, ["pair_name"], "b")
+
+
+@_query(_PARSED + " select pair_name, min(regexp_extract(file_name, 'v(\\d+_\\d+_\\d+)', 1)) v from parsed group by all", "fx_products")
+def least_version(products):
+    parsed = C.parse_products(products).withColumn("version", F.regexp_extract("file_name", r"v(\d+_\d+_\d+)", 1))
+    return M.least_version(parsed, ["pair_name"], "version")
+
+
+@_query(" select path, min(center_lat) low, max(center_lat) high, median(frame_pk % 60 + 32601) epsg from fx_frames group by path", "fx_frames")
+def range_limits(frames):
+    return M.limits(frames.withColumn("epsg", F.pmod("frame_pk", F.lit(60)) + 32601), ["path"], "center_lat", "epsg")
+
+
+@_query(" select pair_id, frame_ord, gy, gx, v from fx_tile_px t where exists (select 1 from fx_tile_px u where u.pair_id = t.pair_id and u.frame_ord = t.frame_ord and u.gy = t.gy and abs(u.v) > 0.25)", "fx_tile_px")
+def trimmed_rows(tiles):
+    blank = tiles.withColumn("_seen", F.when(F.abs("v") > 0.25, F.col("v")))
+    return M.without_empty_rows(blank, ["pair_id", "frame_ord", "gy"], "_seen").select("pair_id", "frame_ord", "gy", "gx", "v")
+
+
+@_query(" select path, arg_max(frame_pk, (max_lat - min_lat, -frame_pk)) frame_pk from fx_frames group by path", "fx_frames")
+def largest_scene(frames):
+    return M.largest(frames.withColumn("area", F.col("max_lat") - F.col("min_lat")), ["path"], "frame_pk", "area")
+
+
+@_query(" select path, count(*) filter (level = 'SLC') kept, count(*) filter (level <> 'SLC') rejected from fx_frames group by path", "fx_frames")
+def kept_counts(frames):
+    return M.kept_and_rejected(frames, ["path"], F.col("level") == "SLC")
+
+
+@_query(" select path, frame_pk, level from (select *, lag(level) over (partition by path order by frame_pk) p, row_number() over (partition by path order by frame_pk) r from fx_frames) where r = 1 or level is distinct from p", "fx_frames")
+def level_changes(frames):
+    return M.changes(frames, ["path"], ["frame_pk"], "level").select("path", "frame_pk", "level")
+
+
+@_query(" select path, frame_pk, max(min_lat) over w south, min(max_lat) over w north from fx_frames window w as (partition by path, orbit_group order by frame_pk rows unbounded preceding)", "fx_frames")
+def running_overlap(frames):
+    return M.running_intersection(frames, ["path", "orbit_group"], ["frame_pk"]).select("path", "frame_pk", "south", "north")
+
+
+@_query(" select path, frame_pk, cast((row_number() over (partition by path, orbit_group order by min_lat, frame_pk) - 1) as int) place, cast((row_number() over (partition by path, orbit_group order by min_lat, frame_pk) - 1) // 4 as int) chunk from fx_frames", "fx_frames")
+def frame_chunks(frames):
+    return M.chunked(frames, ["path", "orbit_group"], ["min_lat", "frame_pk"], 4).select("path", "frame_pk", "place", "chunk")
+
+
+@_query(" select pair_id, count(distinct (mx, my)) = 1 equal from (select pair_id, frame_ord, max(gx) mx, max(gy) - min(gy) my from fx_tile_px group by all) group by pair_id", "fx_tile_px")
+def equal_dimensions(tiles):
+    sizes = tiles.groupBy("pair_id", "frame_ord").agg(F.max("gx").alias("mx"), (F.max("gy") - F.min("gy")).alias("my"))
+    return M.all_equal(sizes, ["pair_id"], ["mx", "my"])
+
+
+@_query(" select younger, older, gy, gx, round(phase - 4 * pi() * floor(phase / (4 * pi())), 9) + 0.0 wrapped, round(phase * 0.0556 / (6 * pi()), 9) + 0.0 moved from fx_ifg_px", "fx_ifg_px")
+def rewrapped_phase(phases):
+    return _rounded(phases.select("younger", "older", "gy", "gx", M.rewrapped(F.col("phase")).alias("wrapped"), M.displacement(F.col("phase")).alias("moved")), "wrapped", "moved")
+
+
+@_query(""", p as (select pair_id, frame_ord, gy // 2 as block_y, gx // 2 as block_x, comp, count(*) n from fx_tile_px where comp is not null group by all)
+ select pair_id, frame_ord, block_y, block_x, comp from (select *, row_number() over (partition by pair_id, frame_ord, block_y, block_x order by n desc, comp) r from p) where r = 1""", "fx_tile_px")
+def multilook_mode(tiles):
+    return M.multilook_mode(tiles, 2, ["pair_id", "frame_ord"])
+
+
+@_query(" select pair_id, frame_ord, gy // 3 as block_y, gx // 3 as block_x, v from fx_tile_px where gy % 3 = 1 and gx % 3 = 1", "fx_tile_px")
+def multilook_nearest(tiles):
+    return M.multilook_nearest(tiles, 3, ["pair_id", "frame_ord"])
+
+
+@_query(" select i.younger, i.older, i.gy, i.gx, a.q + b.q total from fx_ifg_px i join fx_epoch_px a on a.epoch = i.younger and a.gy = i.gy and a.gx = i.gx join fx_epoch_px b on b.epoch = i.older and b.gy = i.gy and b.gx = i.gx", "fx_ifg_px", "fx_epoch_px")
+def delay_total(phases, pixels):
+    return M.summed(phases.select("younger", "older", "gy", "gx"), pixels)
