@@ -181,12 +181,12 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     cold = cold.withColumn("rank", F.dense_rank().over(alike)).withColumn("row", F.row_number().over(alike)).withColumn("k", F.sum((F.col("row") == 1).cast("long")).over(within))
     # Repeated rows tie with the first place and are it.
     cold = cold.filter("rank > 1 or k > 1").select(*named, (F.col("rank") > 1).alias("later"), "k")
-    # Of a hot anchor only counts and first places are gathered, by partial sums.
+    # The rows of a hot anchor are dealt by their contexts too; how many contexts it has is counted by partial sums.
     hot = found.join(F.broadcast(slots), "slot").select(*named)
-    contexts_ = hot.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    several = contexts_.groupBy("h").agg(F.count("*").alias("k"))
-    seen = cut(contexts_.join(several, "h").filter("n > 1 or k > 1"))
-    warm = hot.join(seen, ["h", "c"]).withColumn("later", place != F.col("first")).filter("later or k > 1").select(*named, "later", "k")
+    warm = hot.withColumn("rank", F.dense_rank().over(alike)).withColumn("later", F.col("rank") > 1).drop("rank")
+    several = hot.groupBy("h", "c").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
+    first = warm.filter("not later").join(several.hint("merge"), "h").select(*named, "later", "k")
+    warm = warm.filter("later").withColumn("k", F.lit(1).cast("long")).unionByName(first)
     # A context seen before is a repeat as a whole; the first of several different contexts needs its bytes.
     marks = stored(cold.unionByName(warm).select(F.when(~F.col("later"), F.col("h")).alias("h"), "node", "low", "size", "at", (F.col("k") > TASK).alias("hot")))
     wanted = marks.filter("h is not null")
