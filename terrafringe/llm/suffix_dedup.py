@@ -18,7 +18,7 @@ from terrafringe.llm.suffix_sort import equal_windows
 GRAM = 24
 #: Contexts that one sorting task takes; anchors with more are counted window by window.
 TASK = 16384
-#: Slots that anchors are counted in, and how far above the mean a slot is hot: bounds what is broadcast.
+#: Slots that anchors are counted in, and how far above the mean a slot is hot: at most 1 / `HOT` of the slots come to the driver.
 SLOTS, HOT = 1 << 16, 4
 #: Bytes of a text that are searched for anchors at a time.
 STEP = 1 << 20
@@ -170,19 +170,22 @@ def _counted_repeats(contexts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """(node, low, size) of the bytes covered by strings that start earlier, over documents of different texts (node, _doc)."""
     found = stored(_anchor_rows(docs, length)).withColumn("slot", F.pmod("h", F.lit(SLOTS)))
-    # Anchors whose slot is far above the mean may be too many for a task; the list is bounded by the number of slots.
+    # Anchors whose slot is far above the mean may be too many for a task; one byte a slot tells them.
     counts = cut(found.groupBy("slot").agg(F.count("*").alias("n")))
     most = HOT * (counts.agg(F.sum("n")).first()[0] or 0) / SLOTS + TASK
-    slots = cut(counts.filter(F.col("n") > most).select("slot"))
+    marked = bytearray(SLOTS)
+    for row in counts.filter(F.col("n") > most).select("slot").toLocalIterator():
+        marked[row.slot] = 1
+    is_hot = F.substring(F.lit(bytes(marked)), F.col("slot").cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
     place = F.struct("node", "low")
     named = ["h", "c", "node", "low", "size", "at"]
-    cold = found.join(F.broadcast(slots), "slot", "left_anti").select(*named)
+    cold = found.filter(~is_hot).select(*named)
     within, alike = Window.partitionBy("h"), Window.partitionBy("h", "c").orderBy("node", "low")
     cold = cold.withColumn("rank", F.dense_rank().over(alike)).withColumn("row", F.row_number().over(alike)).withColumn("k", F.sum((F.col("row") == 1).cast("long")).over(within))
     # Repeated rows tie with the first place and are it.
     cold = cold.filter("rank > 1 or k > 1").select(*named, (F.col("rank") > 1).alias("later"), "k")
     # The rows of a hot anchor are dealt by their contexts too; how many contexts it has is counted by partial sums.
-    hot = found.join(F.broadcast(slots), "slot").select(*named)
+    hot = found.filter(is_hot).select(*named)
     warm = hot.withColumn("rank", F.dense_rank().over(alike)).withColumn("later", F.col("rank") > 1).drop("rank")
     several = hot.groupBy("h", "c").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
     first = warm.filter("not later").join(several.hint("merge"), "h").select(*named, "later", "k")
