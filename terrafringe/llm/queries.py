@@ -13,10 +13,10 @@ from terrafringe.llm.common import shared_dir
 from terrafringe.llm.compact_windows import near_passages
 from terrafringe.llm.language_id import fit, held_out, identify
 from terrafringe.llm.ngram_join import near_duplicates
+from terrafringe.llm.oracles import ORACLE_SQL  # noqa: F401 - read by the entry point
 from terrafringe.llm.packing import pack_documents
 from terrafringe.llm.quality import judge
 from terrafringe.llm.sentencepiece_bpe import encode_documents
-
 from terrafringe.llm.sharding import shard_table
 from terrafringe.llm.suffix_dedup import remove_repeats
 from terrafringe.llm.url_filter import judge_urls
@@ -88,5 +88,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sharding": op10_sharding,
 }
-
-ORACLE_SQL: dict[str, str] = {}
