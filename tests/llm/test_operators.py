@@ -312,6 +312,39 @@ def test_passages_behind_frequent_shingles(spark):
         assert found.get((20 + k, k), set()) >= near_words(seqs[20 + k], seqs[k]) != set()
 
 
+def test_passages_behind_frequent_keys(spark):
+    # As before, but 34 of 46 shingles are boilerplate, so that most keys are in over `LIST` pages and too few others are left.
+    rng = random.Random(23)
+    word = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    boiler, texts = word(38), []
+    for _ in range(60):
+        own = word(12)
+        texts += [f"{word(60)} {boiler} {own} {word(60)}" for _ in range(2)]
+    texts = texts[::2] + texts[1::2]
+    assert len(texts) > compact_windows.LIST
+    rows = compact_windows.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    seqs, found = shingle_sequences(texts), found_words(rows)
+    for k in range(60):
+        assert found.get((60 + k, k), set()) >= near_words(seqs[60 + k], seqs[k]) != set()
+    assert {(r.doc_id, r.class_id) for r in rows} == {(k, k % 60) for k in range(120)}
+
+
+def test_classes_of_passages_that_have_other_partners(spark):
+    # The first two are near to each other, the last two equal; the second is near to the last two, the first is not.
+    rng = random.Random(24)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    groups = []
+    for _ in range(12):
+        base, before = fresh(50), fresh(60)
+        first, last = (base[:k] + fresh(1) + base[k + 1 :] for k in (15, 33))
+        groups.append([fresh(30) + x + fresh(30) for x in (first, base, before + last, before + last)])
+    texts = [" ".join(x) for side in zip(*groups, strict=True) for x in side]
+    rows = compact_windows.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    classes = {r.doc_id: r.class_id for r in rows}
+    assert all(c % 12 == d % 12 for d, c in classes.items())
+    assert sum({classes.get(d) for d in range(g, 48, 12)} == {g} for g in range(12)) >= 10
+
+
 def test_passages_inside_looser_runs(spark):
     # Near passages within long spans that are not near as a whole, and one held at two places of the other document.
     rng = random.Random(22)
