@@ -6,10 +6,12 @@ import json
 import math
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 
 @dataclass(frozen=True)
@@ -108,7 +110,7 @@ class ShardStore:
         A shard's tier is the power of `fanout` its size is of `smallest`;
         shards of half the target or more are finished. A tier's shards are
         dealt, in the order of their names, to files of up to the target, and a
-        task writes each file. If nothing is to be merged there is no new version.
+        job of one task writes each file. If nothing is to be merged there is no new version.
         """
         while True:
             version = self.version()
@@ -129,14 +131,19 @@ class ShardStore:
             plan = [g for g in plan if len(g) > 1]
             if not plan:
                 return version
-            merged = {s.file: k for k, g in enumerate(plan) for s in g}
-            folder = f"data/{uuid.uuid4().hex}"
-            to = self.spark.createDataFrame([(f.rsplit("/", 2)[-2] + "/" + f.rsplit("/", 1)[-1], k) for f, k in merged.items()], "_file string, _to int")
-            rows = self.spark.read.parquet(*[f"{self.root}/{f}" for f in merged])
-            file = F.array_join(F.slice(F.split("_metadata.file_path", "/"), -2, 2), "/")
-            dealt = rows.withColumn("_file", file).join(F.broadcast(to), "_file").drop("_file")
-            dealt.repartitionById(len(plan), F.col("_to")).drop("_to").write.parquet(f"{self.root}/{folder}")
-            made = self._written(folder, 1 + max(s.generation for g in plan for s in g))
+            merged = {s.file for g in plan for s in g}
+            schema = self.spark.read.parquet(*[f"{self.root}/{f}" for f in sorted(merged)]).schema
+
+            generation = 1 + max(s.generation for g in plan for s in g)
+
+            def merge(group: list[Shard]) -> list[Shard]:
+                folder = f"data/{uuid.uuid4().hex}"
+                self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.file}" for s in group]).coalesce(1).write.parquet(f"{self.root}/{folder}")
+                return self._written(folder, generation)
+
+            # A file is a job of one task that reads its shards: no shuffle, so disk holds the shards twice at most.
+            with ThreadPoolExecutor(max(1, self.spark.sparkContext.defaultParallelism)) as pool:
+                made = [s for shards in pool.map(inheritable_thread_target(self.spark)(merge), plan) for s in shards]
             if self._commit(version, [s for s in before if s.file not in merged] + made):
                 return version + 1
 

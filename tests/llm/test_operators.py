@@ -426,6 +426,19 @@ def test_shards(spark, docs, tmp_path):
     assert sharding.ShardStore(spark, f"file://{tmp_path}/e").read() is None
 
 
+def test_compaction_writes_without_a_shuffle(spark, docs, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/c")
+    for _ in range(3):
+        store.append(docs.repartition(4))
+    done = spark._jsparkSession.sharedState().statusStore()
+    before = done.executionsCount()
+    store.compact(1 << 20, 2)
+    plans = done.executionsList(before, 1000)
+    writes = [p for p in (plans.apply(k).physicalPlanDescription() for k in range(plans.size())) if "InsertIntoHadoopFs" in p]
+    assert writes and not any("Exchange" in p for p in writes)
+    assert len(store.shards()) < 12 and sorted(map(str, store.read().drop("shard", "generation").collect())) == sorted(map(str, docs.select(*docs.columns).collect() * 3))
+
+
 def test_vacuum_leaves_what_is_not_committed_yet(spark, docs, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/v")
     store.append(docs)
