@@ -400,6 +400,17 @@ def test_passage_recall(spark, length, changed, copies, around):
     assert all(any(set(seqs[i]) & set(seqs[j]) for j in range(len(seqs)) if j != i) for i in list(found)[:20])
 
 
+def test_pairs_of_pages_are_dealt_in_blocks(spark):
+    # All pairs of 100 pages and one page with 300 partners: each pair is in one block that holds both pages, and a page is in few blocks.
+    wanted = [(i, 0, j, 0) for i in range(100) for j in range(i)] + [(1000, 1, 200 + j, 2) for j in range(300)]
+    rows = compact_windows.dealt_pairs(spark.createDataFrame(wanted, "node long, page int, other long, other_page int")).collect()
+    there = {(r.block, r.node, r.page) for r in rows}
+    assert len(there) == len(rows) < 2000 < len(wanted)
+    dealt = [(r.block, r.node, r.page, *p) for r in rows for p in r.partners]
+    assert sorted(d[1:] for d in dealt) == sorted(wanted)
+    assert all((d[0], *d[3:]) in there for d in dealt)
+
+
 def test_compact_windows_cover_every_span():
     rng = np.random.default_rng(11)
     h = rng.integers(0, 40, 90).astype(np.uint64)
